@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.near_dup import band_keys, signatures
-from tidemark.llm.words import U, shingles, words
+from tidemark.llm.words import U, mix, shingles, words
 from tidemark.session import table, tune
 
-BITS = 20
+BITS, STEM = 20, 6
 #: Bound of the labelled sample; of signs for each category.
 MAX_TRAIN, MAX_SIGNS = 12_000, 160
 FOLDS, LEAST_Z, LEAST_SUPPORT, PENALTY = 3, 4.0, 4, 1.0
@@ -28,7 +28,7 @@ REJECT_AT = 0.5
 
 
 def signs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, object]:
-    """(row, sign) of every word, and of two facts of the form: the text's length and its share of symbols, both in steps. A sign is a hash of BITS bits."""
+    """(row, sign) of every word, of every longer word's first STEM bytes, and of two facts of the form: the text's length and its share of symbols, both in steps. A word's sign is a hash of BITS bits."""
     w = words(texts)
     n = len(texts)
     count = np.diff(w.first)
@@ -37,8 +37,12 @@ def signs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, object]:
     size = np.diff(w.offsets)
     length = np.log2(np.maximum(count, 1)).astype(np.int64)
     symbols = (10 * (1 - used / np.maximum(size, 1))).astype(np.int64)
-    rows = np.concatenate([w.row, np.arange(n), np.arange(n)])
-    return rows, np.concatenate([(w.hash >> U(64 - BITS)).astype(np.int64), (1 << BITS) + length, (1 << BITS) + 64 + symbols]), w
+    long = np.flatnonzero(w.end - w.start > STEM)
+    stem = np.zeros(len(long), dtype=np.uint64)
+    for j in range(STEM):
+        stem = stem << U(8) | w.data[w.start[long] + j].astype(np.uint64)
+    rows = np.concatenate([w.row, w.row[long], np.arange(n), np.arange(n)])
+    return rows, np.concatenate([(h >> U(64 - BITS)).astype(np.int64) for h in (w.hash, mix(stem))] + [(1 << BITS) + length, (1 << BITS) + 64 + symbols]), w
 
 
 _SPACE = (1 << BITS) + 128
