@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tidemark.llm.decontam import op2_template_decontamination
 from tidemark.llm.near_dup import op9_minhash_near_dedup
+from tidemark.llm.suffix import op6_suffix_dedup
 from tidemark.llm.toxicity import op4_toxicity_chain
 
-QUERIES = {f.__name__: f for f in (op2_template_decontamination, op4_toxicity_chain, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_template_decontamination, op4_toxicity_chain, op6_suffix_dedup, op9_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
