@@ -87,7 +87,7 @@ def _encode(shared, keys: list[str]):
     return run
 
 
-def _pretokenise(shared, chunk: int):
+def _pretokenise(shared, chunk: int, overlap: int):
     """Adds to each chunk its boundaries at its head and in its overlap with the next, as positions in the document."""
 
     def run(batches):
@@ -97,15 +97,17 @@ def _pretokenise(shared, chunk: int):
                 head, tail = [], []
                 for text, k in zip(part.column("text").to_pylist(), part.column("chunk").to_pylist()):
                     e = [0, *codec.boundaries(text)]
-                    head.append([x + k * chunk for x in e if x < OVERLAP])
+                    head.append([x + k * chunk for x in e if x < overlap])
                     tail.append([x + k * chunk for x in e if x >= chunk])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], names=[*part.schema.names, "head", "tail"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str = RANKS, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, tokens, n_tokens, exact) for every document."""
+    if overlap > chunk:  # stitches of neighbouring pairs of chunks could cross
+        raise ValueError("overlap must not exceed chunk")
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast((ranks_path, read_ranks(ranks_path)))  # one vocabulary, whatever the corpus
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -113,10 +115,10 @@ def encode(docs: DataFrame, ranks_path: str = RANKS, chunk: int = CHUNK) -> Data
     short = own.where(size.isNull() | (size <= chunk)).mapInArrow(_encode(shared, ["doc_id"]), "doc_id long, tokens array<int>, exact boolean")
     long = own.where(size > chunk).withColumn("rid", F.monotonically_increasing_id())
     cut = long.select("rid", "doc_id", F.explode(F.sequence(F.lit(0), ((size - 1) / chunk).cast("int"))).alias("chunk"), (F.floor((size - 1) / chunk)).cast("int").alias("last"), "text")
-    cut = cut.withColumn("text", F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk + OVERLAP)))
+    cut = cut.withColumn("text", F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk + overlap)))
     work = work_dir(spark, "bpe")
     # stored, so that rid is fixed and the text is cut once
-    chunks = stored(cut.repartition("rid", "chunk").mapInArrow(_pretokenise(shared, chunk), "rid long, doc_id long, chunk int, last int, text string, head array<long>, tail array<long>"), f"{work}/chunks")
+    chunks = stored(cut.repartition("rid", "chunk").mapInArrow(_pretokenise(shared, chunk, overlap), "rid long, doc_id long, chunk int, last int, text string, head array<long>, tail array<long>"), f"{work}/chunks")
     order = Window.partitionBy("rid").orderBy("chunk")
     stitch = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
     places = chunks.select("rid", "chunk", "last", F.when(F.col("chunk") < F.col("last"), stitch).alias("to"))
@@ -125,9 +127,9 @@ def encode(docs: DataFrame, ranks_path: str = RANKS, chunk: int = CHUNK) -> Data
     places = places.withColumn("to", F.when(lost == 0, F.col("to"))).withColumn("start", F.lag("to").over(order))
     places = places.withColumn("piece", F.count("start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.col("chunk").cast("long") * chunk
-    end = F.coalesce(F.col("to") - at, F.when(F.col("chunk") < F.col("last"), chunk).otherwise(chunk + OVERLAP))
+    end = F.coalesce(F.col("to") - at, F.when(F.col("chunk") < F.col("last"), chunk).otherwise(chunk + overlap))
     begin = F.coalesce(F.col("start") - at, F.lit(0))
-    parts = chunks.select("rid", "doc_id", "chunk", "text").join(places.drop("last"), ["rid", "chunk"])
+    parts = chunks.select("rid", "doc_id", "chunk", "text").join(places, ["rid", "chunk"])
     parts = parts.select("rid", "doc_id", "piece", "chunk", F.col("text").substr((begin + 1).cast("int"), (end - begin).cast("int")).alias("text"))
     pieces = parts.groupBy("rid", "doc_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("text"))
     done = pieces.mapInArrow(_encode(shared, ["rid", "doc_id", "piece"]), "rid long, doc_id long, piece long, tokens array<int>, exact boolean")

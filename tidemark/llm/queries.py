@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op5_byte_bpe
 from tidemark.llm.decontam import op2_template_decontamination
 from tidemark.llm import line_dedup
 from tidemark.llm.near_dup import op9_minhash_near_dedup
 from tidemark.llm.suffix import op6_suffix_dedup
 from tidemark.llm.toxicity import op4_toxicity_chain
 
-QUERIES = {f.__name__: f for f in (op2_template_decontamination, op4_toxicity_chain, op6_suffix_dedup, line_dedup.op7_line_dedup, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_template_decontamination, op4_toxicity_chain, op5_byte_bpe, op6_suffix_dedup, line_dedup.op7_line_dedup, op9_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
