@@ -1,0 +1,18 @@
+import corpus_pipeline
+from tidemark.llm import bpe
+
+
+def test_stages_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "bpe"]
+
+
+def test_repeated_lines_and_leaks_go_and_ids_come_out(spark):
+    at = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{at}/benchmark.parquet").orderBy("item_id").first().text
+    line = "one line that both documents hold"
+    docs = spark.createDataFrame([(1, f"{line}\nfirst"), (2, f"{line}\nsecond"), (3, item)], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES:
+        if name not in ("toxicity", "near_duplicates"):
+            docs = stage(spark, docs, at)
+    codec = bpe.Codec(bpe.read_ranks())
+    assert {r.doc_id: codec.decode(r.tokens).decode() for r in docs.collect()} == {1: f"{line}\nfirst", 2: "second"}
