@@ -1,0 +1,28 @@
+import pytest
+
+from tidemark.llm.decontam import contaminated
+
+PEOPLE = "Alice buys apples at the market. Alice sells them near the old bridge. Alice keeps the rest for later."
+SUM = "12 + 7 - 3 * 4 = 27 and 8 * 9 - 5 + 6 = 73"
+LONG = "the farmer carried 12 baskets across the muddy field before dawn while rain fell on the silent village and nobody saw the 12 lanterns burning behind the closed shutters of the mill by the river"
+
+
+@pytest.mark.parametrize(
+    "item, text, found",
+    [
+        (PEOPLE, PEOPLE.replace("Alice", "Brenda"), True),
+        (PEOPLE, PEOPLE.lower(), True),
+        (PEOPLE, PEOPLE.title(), True),
+        (PEOPLE, PEOPLE.replace(" ", "\n"), True),
+        (SUM, "see: " + SUM, True),
+        (SUM, SUM.replace("7", "5").replace("9", "4"), False),
+        (LONG, LONG.replace("12", "30", 1), True),
+        (LONG, "a wholly different text about ships that cross the sea in winter with grain and wool", False),
+        # all windows hold a slot whose values disagree: another question
+        ("add 3 to 4 and then take away 3 again now", "add 5 to 4 and then take away 6 again now", False),
+    ],
+)
+def test_leaks(spark, item, text, found):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()] == ([(1, 7)] if found else [])

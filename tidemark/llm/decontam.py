@@ -1,10 +1,10 @@
 """Benchmark decontamination by template windows with typed slots.
 
-A text becomes a sequence of units: a number (digits with ".", "," or ":" inside, or any word that begins with a digit) is a <num>, a unit of measure after a number a <unit>, a word of one capital and then others that doesn't begin a sentence a <name>; every other word stands for itself in lower case. Windows of WINDOW units, at least half of them literal words, are hashed; the windows of documents and benchmark items are hash-joined. For every document, item and alignment the slots are compared: each slot value of the item must map to one value in the document, else the alignment falls away (the same template asked with inconsistent values is another question). A document is contaminated by an item if consistent windows cover MIN_COVER of the item's units, or RUN units in all.
+A text becomes a sequence of units: a number (digits with ".", "," or ":" inside, or any word that begins with a digit) is a <num>, a unit of measure after a number a <unit>, a word of one capital and then others a <name>, wherever it stands (so an ordinary word that opens a sentence is a slot too); every other word stands for itself in lower case. Windows of WINDOW units are hashed verbatim, every unit as its lower-case text, and, if they have slots, as templates of two kinds: with words that open a sentence as names, and with these as literals. The windows of documents and benchmark items are hash-joined. A verbatim match always counts, so case and line breaks of a copy don't matter, nor how many slots the window has. A template match counts if at least half of the item's units are literal or open a sentence, and if each of its slot values maps to one value in the document over all windows of this document, item, alignment and kind; only windows with a value that maps to several fall away (the same template asked with inconsistent values is another question). A document is contaminated by an item if consistent windows cover MIN_COVER of the item's units, or RUN units in all.
 
 Items of fewer than WINDOW units are matched by one window of their whole length. The benchmark's hashes are sent to the scan as a fixed bitmap and a sorted list so that only matching windows are shuffled; beyond MAX_FILTER windows the list isn't sent and all windows are shuffled and joined.
 
-Defined cases: null or empty texts and items match nothing; an item without a window that is half literal matches nothing; repeated documents or items are reported each by their own id (rows that share an id are one); rows with a null id are left out; extra columns are ignored.
+Defined cases: null or empty texts and items match nothing; an item without a window that is half literal matches only verbatim; a copy that is renamed and in another case is only found where its windows have no name; repeated documents or items are reported each by their own id (rows that share an id are one); rows with a null id are left out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[*b".,:"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-NUM, UNIT, NAME = U(0xA1), U(0xA2), U(0xA3)
+NUM, UNIT, NAME, PLAIN, VERBATIM = U(0xA1), U(0xA2), U(0xA3), U(0x10000), U(0x5EED0000)
 
 
 def _hashes_of(values) -> np.ndarray:
@@ -72,36 +72,52 @@ class Template:
             glued[1:] = digit[1:] & digit[:-1] & near & _SEP[raw[np.minimum(w.end[:-1], len(raw) - 1)]]
         kind = np.zeros(n, dtype=np.int8)
         kind[digit] = 1
-        kind[upper & ~begins & ~digit] = 3
+        kind[upper & ~digit] = 3
         keep = np.flatnonzero(~glued)
         end = w.end.copy()
         if glued.any():  # a unit ends where its last glued part ends
             last = np.append(keep[1:], n) - 1
             end[keep] = w.end[last]
+        # a verbatim unit: all its parts in order
+        part = np.arange(n) - np.repeat(keep, np.diff(np.append(keep, n)))
+        with np.errstate(over="ignore"):
+            parts = mix(w.hash + part.astype(np.uint64) * NUM)
+            self.verbatim = np.add.reduceat(parts, keep) if n else parts
         h, kind = w.hash[keep], kind[keep]
+        opens = begins[keep] & (kind == 3)
         unit = np.zeros(len(keep), dtype=bool)
         if len(keep) > 1:
             where = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
             row = w.row[keep]
             unit[1:] = (_UNIT_HASHES[where[1:]] == h[1:]) & (kind[:-1] == 1) & (row[1:] == row[:-1])
         kind[unit & (kind != 1)] = 2
-        h = np.where(kind == 1, NUM, np.where(kind == 2, UNIT, np.where(kind == 3, NAME, h)))
+        plain = np.where(opens & (kind == 3), 0, kind).astype(np.int8)
+        self.kinds = (kind, plain)
+        self.hashes = tuple(np.where(k == 1, NUM, np.where(k == 2, UNIT, np.where(k == 3, NAME, h))) for k in self.kinds)
+        h = self.hashes[0]
         row = w.row[keep]
-        self.kind = kind
+        self.literal = plain == 0
         self.words = Words(data, offsets, w.start[keep], end[keep], h, row, np.searchsorted(row, np.arange(len(offsets))))
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first unit, hash) of the windows of n units that are at least half literal."""
-        at, h = windows(self.words, n)
-        literal = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        ok = 2 * (literal[at + n] - literal[at]) >= n
+    def windows(self, n: int, half: bool) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(first unit, hash, kind of template or -1) of all verbatim windows of n units, and of the template windows with slots; half: of those only the ones at least half literal."""
+        at, v = windows(self.words, n, self.verbatim)
         with np.errstate(over="ignore"):
-            return at[ok], mix(h[ok] + U(n))
-
-    def slots(self, first: int, n: int) -> list[str]:
+            out = [(at, mix(v + U(n) + VERBATIM), -1)]
+        for k, (kind, hashes) in enumerate(zip(self.kinds, self.hashes)):
+            _, h = windows(self.words, n, hashes)
+            slots, literal = (np.concatenate([[0], np.cumsum(x)]) for x in (kind != 0, self.literal))
+            ok = slots[at + n] > slots[at]
+            if half:
+                ok &= 2 * (literal[at + n] - literal[at]) >= n
+            with np.errstate(over="ignore"):
+                out.append((at[ok], mix(h[ok] + U(n) + PLAIN * U(k)), k))
+        return out
+
+    def slots(self, first: int, n: int, k: int) -> list[str]:
         """The window's slot values, in order."""
-        w = self.words
-        return [bytes(w.data[w.start[i] : w.end[i]]).decode("utf-8", "replace") for i in range(first, first + n) if self.kind[i]]
+        w, kind = self.words, self.kinds[k]
+        return [bytes(w.data[w.start[i] : w.end[i]]).decode("utf-8", "replace") for i in range(first, first + n) if kind[i]]
 
 
 def _filter(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +135,9 @@ def _emit(name: str, lengths: list[int] | None, wanted):
         for b in batches:
             t = Template(b.column(1))
             count = np.diff(t.words.first)
-            ids, hs, pos, length, slots = [], [], [], [], []
-            for n in lengths or sorted(set(np.minimum(count, WINDOW).tolist()) - {0}):
-                at, h = t.windows(n)
+            ids, hs, pos, length, kinds, slots = [], [], [], [], [], []
+            own_lengths = lengths or sorted(set(np.minimum(count, WINDOW).tolist()) - {0})
+            for n, (at, h, kind) in ((n, x) for n in own_lengths for x in t.windows(n, lengths is None)):
                 if lengths is None:
                     own = np.minimum(count, WINDOW)[t.words.row[at]] == n
                     at, h = at[own], h[own]
@@ -137,7 +153,8 @@ def _emit(name: str, lengths: list[int] | None, wanted):
                 hs.append(h)
                 pos.append(at - t.words.first[rows])
                 length.append(np.full(len(at), n, np.int32))
-                slots += [t.slots(i, n) for i in at.tolist()]
+                slots += [t.slots(i, n, kind) if kind >= 0 else [] for i in at.tolist()]
+                kinds.append(np.full(len(at), kind, np.int32))
             if not ids:
                 continue
             rows = np.concatenate(ids)
@@ -148,16 +165,17 @@ def _emit(name: str, lengths: list[int] | None, wanted):
                     pa.array(np.concatenate(pos).astype(np.int32)),
                     pa.array(np.concatenate(length)),
                     pa.array(count[rows].astype(np.int32)),
+                    pa.array(np.concatenate(kinds)),
                     pa.array(slots, pa.list_(pa.string())),
                 ],
-                names=[f"{name}_id", "hash", f"{name}_at", "n", f"{name}_units", f"{name}_slots"],
+                names=[f"{name}_id", "hash", f"{name}_at", "n", f"{name}_units", "kind", f"{name}_slots"],
             )
 
     return run
 
 
 def _schema(name: str) -> str:
-    return f"{name}_id long, hash long, {name}_at int, n int, {name}_units int, {name}_slots array<string>"
+    return f"{name}_id long, hash long, {name}_at int, n int, {name}_units int, kind int, {name}_slots array<string>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_filter: int = MAX_FILTER) -> DataFrame:
@@ -172,15 +190,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_filter: int = MAX_FI
         wanted = spark.sparkContext.broadcast(_filter(keys.toArrow()["hash"].to_numpy().view(np.uint64)))
     own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     doc_rows = own.mapInArrow(_emit("doc", lengths, wanted), _schema("doc"))
-    met = doc_rows.join(item_rows, ["hash", "n"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    met = doc_rows.join(item_rows, ["hash", "n", "kind"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
-    aligned = met.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("item_units").alias("units"),
-        F.collect_set(F.struct("item_at", "n")).alias("at"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
-    )
-    # each of the item's slot values has one value here
-    aligned = aligned.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))))
+    aligned = met.groupBy("doc_id", "item_id", "shift", "kind").agg(F.max("item_units").alias("units"), F.collect_set(F.struct("item_at", "n", pairs.alias("slots"))).alias("at"))
+    # the item's values that have several values here
+    met_slots = F.array_distinct(F.flatten(F.transform("at", lambda a: a["slots"])))
+    aligned = aligned.withColumn("i", F.transform(met_slots, lambda s: s["i"]))
+    aligned = aligned.withColumn("torn", F.filter(F.array_distinct("i"), lambda v: F.size(F.filter("i", lambda x: x == v)) > 1))
+    aligned = aligned.withColumn("at", F.filter("at", lambda a: ~F.exists(a["slots"], lambda s: F.array_contains("torn", s["i"]))))
     covered = F.size(F.array_distinct(F.flatten(F.flatten(F.collect_list(F.transform("at", lambda a: F.sequence(a["item_at"], a["item_at"] + a["n"] - 1)))))))
     found = aligned.groupBy("doc_id", "item_id").agg(covered.alias("covered"), F.max("units").alias("units"))
     return found.where((F.col("covered") >= MIN_COVER * F.col("units")) | (F.col("covered") >= RUN)).select("doc_id", "item_id", F.round(F.col("covered") / F.col("units"), 6).alias("share"))
