@@ -1,0 +1,29 @@
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as e
+
+ROOT = Path(__file__).resolve().parent.parent
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_counts_equal_the_oracle(spark, sf):
+    at = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    got = sorted(map(tuple, e.queries()["k1_preview_counts"](spark, at).collect()))
+    assert got == sorted(con.execute(e.oracle_sql()["k1_preview_counts"]).fetchall())
+    assert len(got) == 12
+
+
+def test_entry(spark):
+    assert e.entry(spark).count() == 12
+
+
+def test_registered_without_llm():
+    code = "import sys; sys.modules['tidemark.llm'] = None; import __spark_entry__ as e; print(*e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True).stdout.split() == ["k1_preview_counts"]

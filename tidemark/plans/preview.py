@@ -1,0 +1,94 @@
+"""The preview: three-way plan of local, baseline and remote states, counted per operation.
+
+The three inventories are derived from documents as FIXTURES.md section 3 says. Keys of any of them are planned (a full join); a key that is missing from one has the state Missing, or no baseline. The operations are the arms of plan_resource (src/core.rs:11-116), in its order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.session import table
+
+_SAME, _LOCAL, _REMOTE = "sha2(text, 256)", "sha2(concat(text, '#L'), 256)", "sha2(concat(text, '#R'), 256)"
+
+
+def _inventory(docs: DataFrame, by: int, gone: int, states: dict[int, str], ids: dict[int, str], name: str) -> DataFrame:
+    """(k, name_state, name_id): rows with doc_id % by = gone are left out; Present and unchanged where nothing else is said."""
+    slot = F.col("doc_id") % by
+    state, content = F.lit("Present"), F.expr(_SAME)
+    for i, s in states.items():
+        state, content = F.when(slot == i, s).otherwise(state), F.when(slot == i, F.lit(None)).otherwise(content)
+    for i, e in ids.items():
+        content = F.when(slot == i, F.expr(e)).otherwise(content)
+    return docs.where(slot != gone).select(F.col("doc_id").alias("k"), state.alias(f"{name}_state"), content.alias(f"{name}_id"))
+
+
+def local_inventory(docs: DataFrame) -> DataFrame:
+    return _inventory(docs, 7, 0, {2: "Deleted"}, {1: _LOCAL}, "local")
+
+
+def baselines(docs: DataFrame) -> DataFrame:
+    return _inventory(docs, 5, 0, {1: "Deleted"}, {}, "base")
+
+
+def remote_resources(docs: DataFrame) -> DataFrame:
+    return _inventory(docs, 11, 0, {1: "Deleted", 2: "Forked"}, {3: _REMOTE, 4: _LOCAL}, "remote")
+
+
+def _operation() -> Column:
+    """Operation, or Conflict: and its kind, from local_, base_ and remote_ columns; base_state is null without a baseline."""
+    here = F.col("local_state") == "Present"
+    remote, base = F.col("remote_state"), F.coalesce("base_state", F.lit("None"))
+    local_is_base, remote_is_base = (base == "Present") & (F.col("local_id") == F.col("base_id")), (base == "Present") & (F.col("remote_id") == F.col("base_id"))
+    both = here & (remote == "Present")
+    fetch, dead = ~here & (remote == "Present"), here & (remote == "Deleted")
+    return (
+        F.when(remote == "Forked", "Conflict:RemoteFork")
+        .when(both & (F.col("local_id") == F.col("remote_id")), "EstablishBaseline")
+        .when(here & (remote == "Missing"), "Upload")
+        .when(fetch & base.isin("None", "Deleted"), "Download")
+        .when(both & (base == "None"), "Conflict:InitialDivergence")
+        .when(both & local_is_base, "Download")
+        .when(both & remote_is_base, "Upload")
+        .when(both, "Conflict:ContentVsContent")
+        .when(fetch & remote_is_base, "PublishDelete")
+        .when(fetch, "Conflict:DeleteVsModify")
+        .when(dead & local_is_base, "ApplyDelete")
+        .when(dead & (base == "Deleted"), "Upload")
+        .when(dead, "Conflict:ModifyVsDelete")
+        .when(remote == "Deleted", "EstablishDeletedBaseline")
+        .otherwise("Noop")
+    )
+
+
+def plan(local: DataFrame, base: DataFrame, remote: DataFrame) -> DataFrame:
+    """(k, operation) for the union of the keys."""
+    met = local.join(base, "k", "full").join(remote, "k", "full")
+    return met.fillna("Missing", ["local_state", "remote_state"]).select("k", _operation().alias("operation"))
+
+
+def k1_preview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return plan(local_inventory(docs), baselines(docs), remote_resources(docs)).groupBy("operation").agg(F.count("*").alias("resources"))
+
+
+ORACLE = """
+WITH l AS (SELECT doc_id AS k, doc_id % 7 AS s, CASE doc_id % 7 WHEN 1 THEN sha256(text || '#L') WHEN 2 THEN NULL ELSE sha256(text) END AS id FROM documents WHERE doc_id % 7 <> 0),
+ b AS (SELECT doc_id AS k, doc_id % 5 AS s, CASE WHEN doc_id % 5 = 1 THEN NULL ELSE sha256(text) END AS id FROM documents WHERE doc_id % 5 <> 0),
+ r AS (SELECT doc_id AS k, doc_id % 11 AS s, CASE doc_id % 11 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN sha256(text || '#R') WHEN 4 THEN sha256(text || '#L') ELSE sha256(text) END AS id FROM documents WHERE doc_id % 11 <> 0),
+ keys AS (SELECT k FROM l UNION SELECT k FROM b UNION SELECT k FROM r),
+ met AS (SELECT l.id AS l, b.id AS b, r.id AS r, b.s IS NULL AS no_base, coalesce(r.s, 0) AS rs FROM keys LEFT JOIN l USING (k) LEFT JOIN b USING (k) LEFT JOIN r USING (k)),
+ planned AS (SELECT CASE
+  WHEN rs = 2 THEN 'Conflict:RemoteFork'
+  WHEN rs = 0 THEN CASE WHEN l IS NULL THEN 'Noop' ELSE 'Upload' END
+  WHEN rs = 1 AND l IS NULL THEN 'EstablishDeletedBaseline'
+  WHEN rs = 1 THEN CASE WHEN l = b THEN 'ApplyDelete' WHEN b IS NULL AND NOT no_base THEN 'Upload' ELSE 'Conflict:ModifyVsDelete' END
+  WHEN l IS NULL THEN CASE WHEN b IS NULL THEN 'Download' WHEN r = b THEN 'PublishDelete' ELSE 'Conflict:DeleteVsModify' END
+  WHEN l = r THEN 'EstablishBaseline'
+  WHEN no_base THEN 'Conflict:InitialDivergence'
+  WHEN l = b THEN 'Download'
+  WHEN r = b THEN 'Upload'
+  ELSE 'Conflict:ContentVsContent' END AS operation FROM met)
+SELECT operation, count(*) AS resources FROM planned GROUP BY operation
+"""
