@@ -1,6 +1,6 @@
 """The preview: three-way plan of local, baseline and remote states, counted per operation.
 
-The three inventories are derived from documents as FIXTURES.md section 3 says. Keys of any of them are planned (a full join); a key that is missing from one has the state Missing, or no baseline. The operations are the arms of plan_resource (src/core.rs:11-116), in its order.
+The three inventories are derived from documents as FIXTURES.md section 3 says. Keys of any of them are planned (a full join); a key that is missing from one has the state Missing, or no baseline. The sixteen arms of the planner are tried from top to bottom.
 """
 
 from __future__ import annotations
