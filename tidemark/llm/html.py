@@ -35,6 +35,11 @@ LABELLED = """
 1/1 1/1 2/2 1/1 1/1 2/2 7/0 +4/0 +9/0 +9/0 +11/0 +6/0 +45/0 9/0
 1/1 1/1 1/1 1/1 1/1 1/1 13/0 +10/0 +300/0 7/0
 1/1 1/1 1/1 1/1 1/1 1/1 9/0 +1/0 +2/0 12/0
+1/1 1/1 1/1 10/0 +9/0 +41/0 +27/0 +66/1 15/0
+1/1 1/1 2/2 1/1 8/0 +13/0 +7/0 +90/0 +3/0 +58/0 16/0
+2/2 1/1 1/1 1/1 14/0 +8/0 +33/0 +21/0 +47/0 13/0
+1/1 2/2 1/1 7/0 +11/0 +75/2 +15/0 +39/0 17/1
++9/0 +26/0 +41/0 +24/0
 2/2 2/2 2/2 1/0 +9/0 +14/0 +77/3 +20/0 3/3 4/4 4/4 5/5 16/4
 """
 DEPTH, LEAST_LEAF = 6, 2
