@@ -1,10 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents are taken in BATCHES ranges of doc_id, as if they arrived one batch after the other. A run is a table of line hashes, bucketed and sorted by hash, with the place (doc_id, line) that each line was first met. A batch shuffles its own lines once, keeps the first place of each, merge-anti-joins them with every run (bucketed alike, so runs are never shuffled) and becomes a run of level 0 itself. FANOUT runs of a level are compacted into one of the next level. The first place of a line in order of (doc_id, line number) stays, all its other copies go; documents are rebuilt from their remaining lines.
+Documents are taken in BATCHES ranges of doc_id, as if they arrived one batch after the other. A run is a table of line hashes, bucketed and sorted by hash, with the place (doc_id, line) that each line was first met. A batch shuffles its own lines once, marks the first place of each, merge-joins them with every run (bucketed alike, so runs are never shuffled) and becomes a run of level 0 itself, of the lines that no run has. FANOUT runs of a level are compacted into one of the next level. The first place of a line in order of (doc_id, line number) stays, all its other copies go; documents are rebuilt from their remaining lines.
 
 Lines are compared after trimming spaces and tabs, by two 64-bit hashes. Blank lines are structure: they always stay.
 
-Defined cases: a null text stays null, an empty one empty; a null doc_id comes before all others; rows that share doc_id and text are one document and share its fate (both stay, with the same lines); of rows that share a doc_id but not the text the lower text hash comes first; other columns, whatever their names, are kept and never read; an empty table gives an empty one. A document that loses every one of its non-blank lines is dropped.
+Defined cases: a null text stays null, an empty one empty; a null doc_id comes before all others; rows that share doc_id and text are one document and share its fate (both stay, with the same lines); of rows that share a doc_id but not the text the lower text hash comes first; other columns, whatever their names, are kept and never read; an empty table gives an empty one. A document that loses every one of its non-blank lines is dropped. Time is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import stored, table, tune, work_dir
+from tidemark.session import remove, row_of, stored, table, tune, work_dir
 
 BATCHES, FANOUT = 4, 3
 _KEY = ("h1", "h2")
@@ -29,50 +29,50 @@ def _blank(line: Column) -> Column:
 
 
 class Runs:
-    """The levelled runs: bucketed tables in the shared folder."""
+    """The levelled runs: bucketed tables in the shared folder. A table holds all of a batch's lines; the run is its fresh ones, of which each hash has one."""
 
     def __init__(self, spark, path: str, buckets: int, fanout: int):
         self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
+        self.levels: list[list[DataFrame]] = [[]]
+        self.names: list[str] = []
 
-    def _write(self, rows: DataFrame) -> tuple[str, DataFrame]:
+    def write(self, rows: DataFrame) -> DataFrame:
         name = f"tidemark_run_{uuid.uuid4().hex}"
+        self.names.append(name)
         rows.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
-        return name, self.spark.table(name)
+        return self.spark.table(name)
 
     def all(self) -> list[DataFrame]:
-        return [t for level in self.levels for _, t in level]
+        return [t for level in self.levels for t in level]
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, run: DataFrame) -> None:
         """A new run; full levels are merged upwards."""
-        self.levels[0].append(self._write(rows))
+        self.levels[0].append(run)
         k = 0
         while len(self.levels[k]) >= self.fanout:
-            merged = self.levels[k][0][1]
-            for _, t in self.levels[k][1:]:
+            merged = self.levels[k][0]
+            for t in self.levels[k][1:]:
                 merged = merged.unionByName(t)
             if k + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[k + 1].append(self._write(merged.repartition(self.buckets, *_KEY)))
-            for name, _ in self.levels[k]:
-                self.spark.sql(f"DROP TABLE {name}")
+            self.levels[k + 1].append(self.write(merged.repartition(self.buckets, *_KEY)))
             self.levels[k] = []
             k += 1
 
     def forget(self) -> None:
-        """Take the tables out of the catalog; their files stay until the work folder goes."""
-        for level in self.levels:
-            for name, _ in level:
-                self.spark.sql(f"DROP TABLE {name}")
+        """Take the tables out of the catalog, and their files away."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.path}/{name}")
 
 
 def repeated_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(id, th, lines): for each document (doc_id and text hash) the line numbers, from 0, that were met before."""
+    """(id, th, lines): for each document (doc_id and text hash) the sorted line numbers, from 0, that were met before."""
     spark = tune(docs.sparkSession)
     work = work_dir(spark, "lines")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
-    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or [])) if batches > 1 else []
+    cuts = sorted(set(own.select(F.percentile_approx("id", [i / batches for i in range(1, batches)])).first()[0] or [])) if batches > 1 else []
     number = sum((F.when(F.col("id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     lines = (
         own.select("id", "th", number.alias("batch"), F.posexplode(_lines(F.col("text"))).alias("line", "s"))
@@ -84,38 +84,48 @@ def repeated_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT
     lines.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(lines.schema).parquet(path)
     runs = Runs(spark, work, buckets, fanout)
-    # the stored hashes are read by batch; what a batch repeats, within itself or from a run, is marked
-    gone: DataFrame | None = None
-    for k in range(len(cuts) + 1):
-        batch = lines.where(F.col("batch") == k).drop("batch")
-        first = Window.partitionBy(*_KEY).orderBy(F.col("id").asc_nulls_first(), "th", "line")
-        head = F.struct("id", "th", "line")
-        marked = batch.repartition(buckets, *_KEY).withColumn("head", F.first(head).over(first))
-        fresh = marked.where(F.col("head.line").eqNullSafe(F.col("line")) & F.col("head.id").eqNullSafe(F.col("id")) & (F.col("head.th") == F.col("th"))).select(*_KEY, "id", "th", "line").dropDuplicates([*_KEY])
-        for run in runs.all():
-            fresh = fresh.hint("merge").join(run.select(*_KEY), [*_KEY], "left_anti")
-        runs.add(fresh)
-    kept = None
-    for run in runs.all():
-        part = run.select("id", "th", "line")
-        kept = part if kept is None else kept.unionByName(part)
-    same = [F.col("a.id").eqNullSafe(F.col("b.id")), F.col("a.th") == F.col("b.th"), F.col("a.line") == F.col("b.line")]
-    gone = lines.alias("a").join(kept.alias("b"), same, "left_anti").groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
-    gone = stored(gone, f"{work}/gone")
-    runs.forget()
-    return gone
+    try:
+        judged = []
+        order = Window.partitionBy(*_KEY).orderBy(F.col("id").asc_nulls_first(), "th", "line")
+        for k in range(len(cuts) + 1):
+            # rows that are the same place have the same rank; one of them speaks for them in the run
+            batch = lines.where(F.col("batch") == k).drop("batch").repartition(buckets, *_KEY)
+            batch = batch.withColumns({"met": F.rank().over(order) > 1, "one": F.row_number().over(order) == 1})
+            for run in runs.all():
+                batch = batch.hint("merge").join(run.select(*_KEY, F.lit(True).alias("hit")), [*_KEY], "left").withColumn("met", F.col("met") | F.col("hit").isNotNull()).drop("hit")
+            judged.append(runs.write(batch))
+            runs.add(judged[-1].where("one AND NOT met"))
+        gone = judged[0]
+        for j in judged[1:]:
+            gone = gone.unionByName(j)
+        return stored(gone.where("met").groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines")), f"{work}/gone")
+    finally:
+        runs.forget()
+        remove(spark, path)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text's lines but those of the sorted numbers: the stretches between them, put together. The outer lambda binds the lines, so that they are split once."""
+    lines = _lines(text)
+    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    bound = F.array(F.struct(lines.alias("l"), bounds.alias("b")))
+    stretch = lambda p: F.transform(F.sequence(F.lit(0), F.size(p["b"]) - 2), lambda k: F.slice(p["l"], F.get(p["b"], k) + 2, F.get(p["b"], k + 1) - F.get(p["b"], k) - 1))
+    return F.flatten(F.transform(bound, stretch)[0])
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The documents with their repeated lines taken out; columns as in docs, n_chars (if there) brought up to date."""
-    gone = repeated_lines(docs, batches, fanout).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
-    met = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left")
-    rest = F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains("__lines", i))
-    left = F.exists(rest, lambda x: ~_blank(x))
-    out = met.where(F.col("__lines").isNull() | left).withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
+    gone = repeated_lines(docs, batches, fanout)
+    # the whole row is one column here, so that no name can clash
+    rows = docs.select(row_of(docs).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_th"), F.col("text").isNull().alias("bare"))
+    met = rows.join(gone, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")) & ~F.col("bare"), "left")
+    rest = _without(F.col("row.text"), F.col("lines"))
+    out = met.select("row", F.when(F.col("lines").isNotNull(), F.struct(F.array_join(rest, "\n").alias("text"), F.exists(rest, lambda x: ~_blank(x)).alias("some"))).alias("cut"))
+    out = out.where("cut IS NULL OR cut.some")
+    row = F.col("row").withField("text", F.col("cut.text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(docs.columns)
+        row = row.withField("n_chars", F.char_length("cut.text").cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(F.col("cut").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 def op7_line_dedup(spark, sf_dir):
