@@ -56,6 +56,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), o
 
 
+def slices(batch, column: int, size: int = 1 << 20):
+    """The batch in slices of rows whose texts have size bytes at most; a longer text is a slice of its own."""
+    o = buffers(batch.column(column))[1]
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(o, o[i] + size, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, SEGMENT + 4096)
