@@ -1,10 +1,10 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted in a fixed order by logistic models. A later model sees the probabilities of the earlier categories; in training those are out-of-fold predictions, so it learns from probabilities as uncertain as the ones it gets later. Folds keep near copies together and near copies share one vote, so that a passage copied many times isn't learnt as a sign.
+Categories are predicted in a fixed order by logistic models. A later model sees the probabilities of the earlier categories; in training those are out-of-fold predictions, of models that chose their signs and weights without the fold, so it learns from probabilities as uncertain as the ones it gets later. Folds keep near copies together and near copies share one vote, so that a passage copied many times isn't learnt as a sign.
 
 The labels table has two outcomes, so the query's chain is low_quality (quality = 0) and then toxic; any number of 0/1 columns may be given. Models are fitted on at most MAX_TRAIN labelled documents (those of least hash of doc_id, a bounded sample); every document is then scored on its whole text, inside the scan, without a shuffle.
 
-Defined cases: a null or empty text gets the probabilities of a text without signs; a label that is null or outside 0/1 leaves its row out of training; of several labels of a doc_id the greatest counts; without any labelled row, or with one class only, a category's probability is the (smoothed) share of its class; extra columns stay untouched.
+Defined cases: a null or empty text gets the probabilities of a text without signs; a label that is null or outside 0/1 leaves its row out of training; of several labels of a doc_id the greatest counts; a category is only learnt if its labels have both classes: else its probability is 0 and rejects nothing (so with an empty labels table every document stays); rows that share a doc_id are scored each by its own text; extra columns stay untouched.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from tidemark.llm.words import U, mix, shingles, words
 from tidemark.session import table, tune
 
 BITS, STEM = 20, 6
-#: Bound of the labelled sample; of signs for each category.
-MAX_TRAIN, MAX_SIGNS = 12_000, 160
+#: Bound of the labelled sample.
+MAX_TRAIN = 12_000
 FOLDS, LEAST_Z, LEAST_SUPPORT, PENALTY = 3, 4.0, 4, 1.0
 CHAIN = ("low_quality", "toxic")
 REJECT_AT = 0.5
@@ -90,14 +90,19 @@ def _groups(keys: np.ndarray) -> np.ndarray:
     return np.array([find(i) for i in range(len(keys))], dtype=np.int64)
 
 
+#: The constant of a category that wasn't learnt: a probability of 0.
+_NEVER = -np.inf
+
+
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last coefficient is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    share = float((weight * y).sum() + 0.5) / float(weight.sum() + 1)
     beta = np.zeros(x.shape[1])
-    beta[-1] = np.log(share / (1 - share))
     if not len(y) or y.min() == y.max():
+        beta[-1] = _NEVER
         return beta
+    share = float((weight * y).sum()) / float(weight.sum())
+    beta[-1] = np.log(share / (1 - share))
     ridge = np.full(x.shape[1], PENALTY)
     ridge[-1] = 1e-3
     for _ in range(25):
@@ -113,11 +118,13 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _predict(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    if beta[-1] == _NEVER:
+        return np.zeros(len(x))
     return 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
 
 
 def _choose(rows: np.ndarray, s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Signs whose share among the category's documents differs by LEAST_Z standard errors, the strongest first."""
+    """Signs whose share among the category's documents differs by LEAST_Z standard errors."""
     pos, neg = weight * y, weight * (1 - y)
     a, b = np.bincount(s, pos[rows], _SPACE), np.bincount(s, neg[rows], _SPACE)
     np_, nn = pos.sum(), neg.sum()
@@ -126,7 +133,7 @@ def _choose(rows: np.ndarray, s: np.ndarray, y: np.ndarray, weight: np.ndarray)
     share = (a + b) / (np_ + nn)
     z = (a / np_ - b / nn) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / np_ + 1 / nn))
     ok = np.flatnonzero((a + b >= LEAST_SUPPORT) & (np.abs(z) >= LEAST_Z))
-    return ok[np.lexsort((ok, -np.abs(z[ok])))][:MAX_SIGNS]
+    return ok
 
 
 class Chain:
@@ -153,27 +160,33 @@ def fit_chain(names, sign_lists: list[np.ndarray], y: np.ndarray, copies: np.nda
     """y: rows x categories of 0/1; copies: rows x keys that near copies share."""
     n = len(sign_lists)
     if not n:
-        return Chain(names, np.zeros(0, np.int64), [np.zeros(j + 1) for j in range(len(names))])
+        return Chain(names, np.zeros(0, np.int64), [np.append(np.zeros(j), _NEVER) for j in range(len(names))])
     rows = np.repeat(np.arange(n), [len(s) for s in sign_lists])
     s = np.concatenate(sign_lists).astype(np.int64)
     group = _groups(copies)
     weight = 1 / np.bincount(group, minlength=n)[group]
     fold = np.unique(group, return_inverse=True)[1] * 2654435761 % 1_000_003 % FOLDS
-    chosen = np.unique(np.concatenate([_choose(rows, s, y[:, j], weight) for j in range(len(names))]))
-    at = np.full(_SPACE, -1, dtype=np.int32)
-    at[chosen] = np.arange(len(chosen))
-    f = at[s]
-    x = np.zeros((n, len(chosen)))
-    x[rows[f >= 0], f[f >= 0]] = 1
+
+    def table_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signs chosen on own rows, and all rows' table of them."""
+        part = own[rows]
+        chosen = np.unique(np.concatenate([_choose(rows[part], s[part], y[:, j], weight * own) for j in range(len(names))]))
+        at = np.full(_SPACE, -1, dtype=np.int32)
+        at[chosen] = np.arange(len(chosen))
+        f = at[s]
+        x = np.zeros((n, len(chosen)), dtype=np.float32)
+        x[rows[f >= 0], f[f >= 0]] = 1
+        return chosen, x
+
+    chosen, x = table_of(np.ones(n, dtype=bool))
+    parts = [(k, table_of(fold != k)[1]) for k in range(FOLDS)] if len(names) > 1 else []
     betas, earlier = [], np.zeros((n, 0))
     for j in range(len(names)):
-        xj = np.hstack([x, earlier])
         held = np.zeros(n)
-        if j + 1 < len(names):
-            for k in range(FOLDS):
-                own = fold == k
-                held[own] = _predict(xj[own], _fit(xj[~own], y[~own, j], weight[~own]))
-        betas.append(_fit(xj, y[:, j], weight))
+        for k, xk in parts if j + 1 < len(names) else []:
+            own, xj = fold == k, np.hstack([xk, earlier])
+            held[own] = _predict(xj[own], _fit(xj[~own], y[~own, j], weight[~own]))
+        betas.append(_fit(np.hstack([x, earlier]), y[:, j], weight))
         earlier = np.hstack([earlier, held[:, None]])
     return Chain(names, chosen, betas)
 
