@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer.
 
-Records are range-sorted by host (labels reversed), URL, page_id and payload digest. Each becomes a response record with headers made anew (target, date, record id, block and payload digests, lengths) in a gzip member of its own. The members' sizes, summed in sorted order over all records, say which file a record goes to: file k holds the records that begin in bytes k TARGET to (k + 1) TARGET of that order. So the files, byte for byte, depend on the records alone, not on how Spark split the work.
+Records are ordered by host (labels reversed), URL, page_id and payload digest, and range-sorted into shards: a first pass sorts the keys alone, sums the payloads' sizes in that order and cuts every SHARD bytes; the cuts (a key for each shard) go to the second pass, which sends each page to its shard. A shard is sorted and written by one task. Each page becomes a response record with headers made anew (target, date, record id, block and payload digests, lengths) in a gzip member of its own; when a file has TARGET compressed bytes, the shard goes on in a new one. So the files, byte for byte, depend on the records and the two sizes alone, not on how Spark split the work. The driver holds a key for each shard: choose SHARD so that these are few enough.
 
 Files are written under temporary names that no two attempts share. The index of the attempts that Spark committed names them; it is written as a table, then every file gets its final name, and last of all the manifest, itself renamed from a temporary name. A folder without a manifest is unfinished; files that the manifest doesn't name aren't part of the archive.
 
@@ -15,16 +15,19 @@ import json
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.url_filter import host_of
 from tidemark.session import stored, table, tune, work_dir
 
-#: Compressed bytes after which a file is full; date of all records (deterministic output has no clock).
-TARGET, DATE = 64 << 20, "2024-01-01T00:00:00Z"
+#: Payload bytes of a shard, compressed bytes after which a file is full, and the date of all records (deterministic output has no clock).
+SHARD, TARGET, DATE = 128 << 20, 32 << 20, "2024-01-01T00:00:00Z"
+_ORDER = ["site", "url", "page_id", "sha"]
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -66,30 +69,8 @@ def info(name: str, date: str = DATE) -> bytes:
     return member("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
 
 
-def file_name(k: int) -> str:
-    return f"part-{k:06d}.warc.gz"
-
-
-def _members(date: str):
-    def run(batches):
-        """Members of a sorted partition, with their place in it."""
-        from pyspark import TaskContext
-
-        part, at, last, again, n = TaskContext.get().partitionId(), 0, None, 0, 0
-        for b in batches:
-            for rows in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
-                out = []
-                for page_id, url, html, sha in zip(*(rows.column(k).to_pylist() for k in range(4))):
-                    key = (page_id, url, sha)
-                    again, last = (again + 1 if key == last else 0), key
-                    data, name, own = record(page_id, url, html, again, date)
-                    data = member(data)
-                    out.append((part, n, at, page_id, name, own, data))
-                    at, n = at + len(data), n + 1
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["part", "n", "at", "page_id", "record_id", "digest", "member"])
-
-    return run
+def file_name(shard: int, k: int) -> str:
+    return f"shard-{shard:06d}-{k:04d}.warc.gz"
 
 
 def file_system(uri: str):
@@ -99,39 +80,47 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?!/)", "file:///", uri)))
 
 
-def _write(uri: str, date: str):
+def _write(uri: str, target: int, date: str):
     def run(batches):
-        """Writes the files of a partition sorted by file and place, each under a new temporary name."""
+        """Writes the shards of a sorted partition, each file under a new temporary name."""
         system, path = file_system(uri)
-        now, out, rows, sha, size, temp = None, None, [], None, 0, ""
+        out = sha = now = last = None
+        rows, k, size, again, temp = [], 0, 0, 0, ""
 
         def close():
             out.close()
             cols = list(zip(*rows))
-            k = len(rows)
+            n = len(rows)
             done = pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array([file_name(now)] * k), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array([temp] * k), pa.array([size] * k, pa.int64()), pa.array([sha.hexdigest()] * k)],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array([file_name(now, k)] * n), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array([temp] * n), pa.array([size] * n, pa.int64()), pa.array([sha.hexdigest()] * n)],
                 names=["page_id", "record_id", "file", "offset", "length", "digest", "temp", "bytes", "sha256"],
             )
             rows.clear()
             return done
 
+        def put(data: bytes) -> None:
+            nonlocal size
+            out.write(data)
+            sha.update(data)
+            size += len(data)
+
         for b in batches:
             for i in range(b.num_rows):
-                r = {c: b.column(c)[i].as_py() for c in ("file", "page_id", "record_id", "digest", "member")}
-                if r["file"] != now:
-                    if out:
-                        yield close()
-                    now, temp = r["file"], f"{file_name(r['file'])}.{uuid.uuid4().hex}"
-                    out, head, sha = system.open_output_stream(f"{path}/_temporary/{temp}"), info(file_name(now), date), hashlib.sha256()
-                    out.write(head)
-                    sha.update(head)
-                    size = len(head)
-                out.write(r["member"])
-                sha.update(r["member"])
-                rows.append((r["page_id"], r["record_id"], size, len(r["member"]), r["digest"]))
-                size += len(r["member"])
-        if out:
+                shard, page_id, url, html, digest_ = (b.column(c)[i].as_py() for c in ("shard", "page_id", "url", "html", "sha"))
+                if out is not None and (shard != now or size >= target):
+                    yield close()
+                    out, k = None, k + 1 if shard == now else 0
+                again, last = (again + 1 if (page_id, url, digest_) == last else 0), (page_id, url, digest_)
+                if out is None:
+                    now, size, sha = shard, 0, hashlib.sha256()
+                    temp = f"{file_name(now, k)}.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(f"{path}/_temporary/{temp}")
+                    put(info(file_name(now, k), date))
+                data, name, own = record(page_id, url, html, again, date)
+                data, at = member(data), size
+                put(data)
+                rows.append((page_id, name, at, len(data), own))
+        if out is not None:
             yield close()
 
     return run
@@ -157,21 +146,39 @@ def _publish(uri: str):
     return run
 
 
-def write_warc(pages: DataFrame, uri: str, target: int = TARGET, date: str = DATE) -> DataFrame:
+def _key(values) -> tuple:
+    """A tuple that compares as Spark sorts the columns: nulls first, texts by their bytes."""
+    return tuple((v is not None, v.encode() if isinstance(v, str) else v or 0) for v in values)
+
+
+def cuts(rows: DataFrame, shard: int) -> list[tuple]:
+    """The first key of every shard but the first. rows: the key columns and size."""
+    sorted_ = rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).withColumn("part", F.spark_partition_id())
+    keys = stored(sorted_, f"{work_dir(rows.sparkSession, 'warc-keys')}/keys")
+    sums = keys.groupBy("part").agg(F.sum("size").alias("sum"))  # a row for each partition
+    before = sums.select("part", (F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sum")).alias("before"))
+    inside = F.sum("size").over(Window.partitionBy("part").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = keys.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("shard", F.floor((F.col("before") + F.col("inside")) / shard))
+    first = placed.groupBy("shard").agg(F.min(F.struct(*_ORDER)).alias("key")).where("shard > 0").select("key.*")
+    return sorted({_key(r) for r in first.collect()})
+
+
+def write_warc(pages: DataFrame, uri: str, shard: int = SHARD, target: int = TARGET, date: str = DATE) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files under uri; gives the index: (page_id, record_id, file, offset, length, digest)."""
     spark = tune(pages.sparkSession)
     system, path = file_system(uri)
     system.create_dir(f"{path}/_temporary", recursive=True)
     host = F.array_join(F.reverse(F.split(host_of(F.col("url")), r"\.")), ",")
-    rows = pages.select(host.alias("site"), F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"))
-    order = ["site", "url", "page_id", "sha"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("page_id", "url", "html", "sha")
-    made = stored(rows.mapInArrow(_members(date), "part int, n long, at long, page_id long, record_id string, digest string, member binary"), f"{uri}/_temporary/members")
-    sizes = made.groupBy("part").agg(F.sum(F.length("member")).alias("size"))  # a row for each partition
-    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
-    placed = made.join(F.broadcast(before), "part").withColumn("file", F.floor((F.col("before") + F.col("at")) / target).cast("long"))
-    sorted_ = placed.repartition("file").sortWithinPartitions("file", "part", "n").select("file", "page_id", "record_id", "digest", "member")
-    index = stored(sorted_.mapInArrow(_write(uri, date), _INDEX), f"{uri}/_index")
+    payload = F.coalesce("html", F.lit(""))
+    rows = pages.select(host.alias("site"), F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("sha"))
+    bounds = spark.sparkContext.broadcast(cuts(rows.select(*_ORDER, F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size")), shard))
+
+    @F.arrow_udf(T.LongType())
+    def shard_of(site: pa.Array, url: pa.Array, page_id: pa.Array, sha: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds.value, _key(k)) for k in zip(*(c.to_pylist() for c in (site, url, page_id, sha)))], pa.int64())
+
+    sent = rows.withColumn("shard", shard_of(*_ORDER)).repartition(len(bounds.value) + 1, "shard").sortWithinPartitions("shard", *_ORDER)
+    index = stored(sent.select("shard", "page_id", "url", "html", "sha").mapInArrow(_write(uri, target, date), _INDEX), f"{uri}/_index")
     files = index.groupBy("file", "temp", "bytes", "sha256").agg(F.count("*").alias("records"))
     stored(files.mapInArrow(_publish(uri), files.schema).select("file", "records", "bytes", "sha256"), f"{uri}/_temporary/manifest")
     listed = spark.read.schema("file string, records long, bytes long, sha256 string").parquet(f"{uri}/_temporary/manifest")
