@@ -1,10 +1,10 @@
 """Repeated passages by sparse suffix sorting: deep-shallow sort of the suffixes at content-chosen anchors.
 
-A word is covered if it lies in a run of MIN_WORDS words that occurs at two or more places of the corpus. Sorting every suffix of the corpus isn't needed for that: of every MIN_WORDS words, the run of GRAM words with the least hash is an anchor, so two equal passages hold an anchor at the same place. Anchors are shuffled by hash; a hash met once ends there. Anchors whose whole surroundings (as far as a passage that holds the anchor can reach) are equal, by a second 64-bit hash, are covered at once; one of each kind goes on. For those the surroundings are fetched, and the suffixes of one hash are sorted deep-shallow: multikey quicksort on eight bytes at a time down to SHALLOW bytes, then a blind trie for each group that is still equal. Common prefixes of neighbours give the branching points; at each the longest common text to the left decides which suffixes share MIN_WORDS words.
+The sort is sparse: not every suffix of the corpus is sorted, but no repeated run of MIN_WORDS words is lost by it (see below; the test compares with all pairs of places). A word is covered if it lies in a run of MIN_WORDS words that occurs at two or more places of the corpus. Sorting every suffix of the corpus isn't needed for that: of every MIN_WORDS words, the run of GRAM words with the least hash is an anchor, so two equal passages hold an anchor at the same place. Anchors are shuffled by hash; a hash met once ends there. Anchors whose whole surroundings (as far as a passage that holds the anchor can reach) are equal, by a second 64-bit hash, are covered at once; one of each kind goes on. For those the surroundings are fetched, and the suffixes of one hash are sorted deep-shallow: multikey quicksort on eight bytes at a time down to SHALLOW bytes, then a blind trie for each group that is still equal. Common prefixes of neighbours give the branching points; at each the longest common text to the left decides which suffixes share MIN_WORDS words.
 
 The result has a row for each maximal covered span: doc_id, start_word, end_word (words are counted from 0, end exclusive; they are lower-case runs of letters and digits, so case, spaces and punctuation don't matter).
 
-Defined cases: null texts, null ids and texts below MIN_WORDS words have no spans; rows that share doc_id and text count as one place; a passage that repeats inside one document is covered like any other; extra columns are ignored.
+Defined cases: null texts, null ids and texts below MIN_WORDS words have no spans; rows that share doc_id and text count as one place; of rows that share only the doc_id each text is a document of its own, and the spans of all of them are listed under that doc_id; a passage that repeats inside one document is covered like any other; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,12 +172,12 @@ def _anchors(least: int, gram: int):
                 [
                     pa.array(g[p].view(np.int64)),
                     pa.array(around.view(np.int64)),
-                    b.column("doc_id").take(pa.array(rows)),
+                    b.column("doc").take(pa.array(rows)),
                     pa.array((p - w.first[rows]).astype(np.int32)),
                     pa.array((p - a).astype(np.int16)),
                     pa.array((z - p).astype(np.int16)),
                 ],
-                names=["hash", "around", "doc_id", "word", "before", "after"],
+                names=["hash", "around", "doc", "word", "before", "after"],
             )
 
     return run
@@ -199,32 +199,32 @@ def _fetch(batches):
         a, m, z = cut[p - f.field("before").to_numpy()], cut[p], cut[p + f.field("after").to_numpy()]
         left = [b" " + text[i:j] for i, j in zip(a.tolist(), m.tolist())]
         yield pa.RecordBatch.from_arrays(
-            [f.field("hash"), b.column("doc_id").take(pa.array(row)), f.field("word"), f.field("single"), pa.array([x[::-1] for x in left], pa.binary()), pa.array([text[i:j] for i, j in zip(m.tolist(), z.tolist())], pa.binary())],
-            names=["hash", "doc_id", "word", "single", "left", "right"],
+            [f.field("hash"), b.column("doc").take(pa.array(row)), f.field("word"), f.field("single"), pa.array([x[::-1] for x in left], pa.binary()), pa.array([text[i:j] for i, j in zip(m.tolist(), z.tolist())], pa.binary())],
+            names=["hash", "doc", "word", "single", "left", "right"],
         )
 
 
 def _compare(least: int):
     def run(batches):
-        """Covered spans from rows sorted by hash; a group may go on in the next batch."""
-        now, group = None, []
-        out: list[tuple[int, int, int]] = []
+        """Covered spans from rows sorted by hash; a group may go on in the next batch. A place that comes twice counts once."""
+        now, group = None, {}
+        out: list[tuple[int, int, int, int]] = []
 
         def close():
-            for (doc, word, single, _, _), c in zip(group, cover([(x[3], x[4]) for x in group], least) if len(group) > 1 else []):
+            for (doc, th, word), single, c in zip(group, (x[0] for x in group.values()), cover([x[1:] for x in group.values()], least) if len(group) > 1 else []):
                 if single and c:
-                    out.append((doc, word - c[0], word + c[1]))
+                    out.append((doc, th, word - c[0], word + c[1]))
 
         def batch():
-            d = pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())
-            return pa.RecordBatch.from_arrays(list(d), names=["doc_id", "a", "z"])
+            a, b, c, d = (pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32())))
+            return pa.RecordBatch.from_arrays([a, b, c, d], names=["id", "th", "a", "z"])
 
         for b in batches:
-            for h, *x in zip(*(b.column(c).to_pylist() for c in ("hash", "doc_id", "word", "single", "left", "right"))):
+            for h, doc, th, word, *x in zip(*(b.column(c).to_pylist() for c in ("hash", "id", "th", "word", "single", "left", "right"))):
                 if h != now:
                     close()
-                    now, group = h, []
-                group.append(tuple(x))
+                    now, group = h, {}
+                group[doc, th, word] = tuple(x)
             if len(out) > 20_000:
                 yield batch()
                 out.clear()
@@ -238,28 +238,29 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) ->
     """doc_id, start_word, end_word of each maximal span of words that lie in a repeated run of least words."""
     spark = tune(docs.sparkSession)
     work = work_dir(spark, "suffix")
-    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = own.mapInArrow(_anchors(least, gram), "hash long, around long, doc_id long, word int, before short, after short")
+    doc = "id long, th long"
+    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th")).alias("doc"), "text")
+    found = own.mapInArrow(_anchors(least, gram), "hash long, around long, doc struct<id: long, th: long>, word int, before short, after short")
     same, kind = Window.partitionBy("hash"), Window.partitionBy("hash", "around")
-    place = F.struct("doc_id", "word")
+    place = F.struct("doc", "word")
     kinds = (
         found.withColumn("k0", F.min("around").over(same))
         .withColumn("k1", F.max("around").over(same))
         .withColumn("p0", F.min(place).over(kind))
         .withColumn("p1", F.max(place).over(kind))
         .where("k0 != k1 OR p0 != p1")
-        .select("hash", "doc_id", "word", "before", "after", (F.col("p0") == F.col("p1")).alias("single"), ((F.col("k0") != F.col("k1")) & (F.col("p0") == place)).alias("fetch"))
+        .select("hash", "doc", "word", "before", "after", (F.col("p0") == F.col("p1")).alias("single"), ((F.col("k0") != F.col("k1")) & (F.col("p0") == place)).alias("fetch"))
     )
     kinds = stored(kinds, f"{work}/anchors")
-    whole = kinds.where("NOT single").select("doc_id", (F.col("word") - F.col("before")).alias("a"), (F.col("word") + F.col("after")).alias("z"))
-    wanted = kinds.where("fetch").groupBy("doc_id").agg(F.collect_set(F.struct("hash", "word", "before", "after", "single")).alias("wanted"))
-    rows = own.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetch, "hash long, doc_id long, word int, single boolean, left binary, right binary")
-    part = rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(least), "doc_id long, a int, z int")
+    whole = kinds.where("NOT single").select("doc.*", (F.col("word") - F.col("before")).alias("a"), (F.col("word") + F.col("after")).alias("z"))
+    wanted = kinds.where("fetch").groupBy("doc").agg(F.collect_set(F.struct("hash", "word", "before", "after", "single")).alias("wanted"))
+    rows = own.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch, "hash long, doc struct<id: long, th: long>, word int, single boolean, left binary, right binary")
+    part = rows.select("hash", "doc.*", "word", "single", "left", "right").repartition("hash").sortWithinPartitions("hash").mapInArrow(_compare(least), f"{doc}, a int, z int")
     spans = whole.unionByName(part)
-    order = Window.partitionBy("doc_id").orderBy("a", "z")
+    order = Window.partitionBy("id", "th").orderBy("a", "z")
     reach = F.max("z").over(order.rowsBetween(Window.unboundedPreceding, -1))
     isles = spans.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1)).withColumn("isle", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return isles.groupBy("doc_id", "isle").agg(F.min("a").alias("start_word"), F.max("z").alias("end_word")).drop("isle")
+    return isles.groupBy("id", "th", "isle").agg(F.min("a").alias("start_word"), F.max("z").alias("end_word")).select(F.col("id").alias("doc_id"), "start_word", "end_word")
 
 
 def op6_suffix_dedup(spark, sf_dir):
