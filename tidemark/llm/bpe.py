@@ -41,7 +41,7 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         if self.spaces.search(text):
-            return np.array([i for m in self.pattern.finditer(text) for i in self.encoding.encode_single_piece(m.group().encode())], dtype=np.int32) if hasattr(self.encoding, "encode_single_piece") else np.array([i for m in self.pattern.finditer(text) for i in self.encoding._encode_single_piece(m.group())], dtype=np.int32)
+            return np.array([i for m in self.pattern.finditer(text) for i in self.encoding._encode_single_piece(m.group())], dtype=np.int32)
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
     def decode(self, ids) -> bytes:
@@ -87,6 +87,23 @@ def _encode(shared, keys: list[str]):
     return run
 
 
+def _cut(chunk: int, overlap: int):
+    """The chunks of each text, in batches of a few."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column("text")[i].as_py()
+                last = (len(text) - 1) // chunk
+                for k in range(0, last + 1, 16):
+                    n = list(range(k, min(k + 16, last + 1)))
+                    parts = pa.array([text[j * chunk : (j + 1) * chunk + overlap] for j in n], pa.string())
+                    same = pa.array([i] * len(n))
+                    yield pa.RecordBatch.from_arrays([b.column("rid").take(same), b.column("doc_id").take(same), pa.array(n, pa.int32()), pa.array([last] * len(n), pa.int32()), parts], names=["rid", "doc_id", "chunk", "last", "text"])
+
+    return run
+
+
 def _pretokenise(shared, chunk: int, overlap: int):
     """Adds to each chunk its boundaries at its head and in its overlap with the next, as positions in the document."""
 
@@ -114,8 +131,7 @@ def encode(docs: DataFrame, ranks_path: str = RANKS, chunk: int = CHUNK, overlap
     size = F.char_length("text")
     short = own.where(size.isNull() | (size <= chunk)).mapInArrow(_encode(shared, ["doc_id"]), "doc_id long, tokens array<int>, exact boolean")
     long = own.where(size > chunk).withColumn("rid", F.monotonically_increasing_id())
-    cut = long.select("rid", "doc_id", F.explode(F.sequence(F.lit(0), ((size - 1) / chunk).cast("int"))).alias("chunk"), (F.floor((size - 1) / chunk)).cast("int").alias("last"), "text")
-    cut = cut.withColumn("text", F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk + overlap)))
+    cut = long.select("rid", "doc_id", "text").mapInArrow(_cut(chunk, overlap), "rid long, doc_id long, chunk int, last int, text string")
     work = work_dir(spark, "bpe")
     # stored, so that rid is fixed and the text is cut once
     chunks = stored(cut.repartition("rid", "chunk").mapInArrow(_pretokenise(shared, chunk, overlap), "rid long, doc_id long, chunk int, last int, text string, head array<long>, tail array<long>"), f"{work}/chunks")
