@@ -177,7 +177,7 @@ def write_warc(pages: DataFrame, uri: str, shard: int = SHARD, target: int = TAR
     def shard_of(site: pa.Array, url: pa.Array, page_id: pa.Array, sha: pa.Array) -> pa.Array:
         return pa.array([bisect_right(bounds.value, _key(k)) for k in zip(*(c.to_pylist() for c in (site, url, page_id, sha)))], pa.int64())
 
-    sent = rows.withColumn("shard", shard_of(*_ORDER)).repartition(len(bounds.value) + 1, "shard").sortWithinPartitions("shard", *_ORDER)
+    sent = rows.withColumn("shard", shard_of(*_ORDER)).repartitionById(len(bounds.value) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", *_ORDER)
     index = stored(sent.select("shard", "page_id", "url", "html", "sha").mapInArrow(_write(uri, target, date), _INDEX), f"{uri}/_index")
     files = index.groupBy("file", "temp", "bytes", "sha256").agg(F.count("*").alias("records"))
     stored(files.mapInArrow(_publish(uri), files.schema).select("file", "records", "bytes", "sha256"), f"{uri}/_temporary/manifest")
