@@ -1,6 +1,6 @@
 """Signature sniffing of media columns.
 
-An Aho-Corasick automaton over all magic bytes passes once over each payload. At every place that it finds, the format's validator walks the structure (chunks with their checksums, segments, blocks, boxes, compressed streams) to the object's end. A payload's type is that of the valid object at its start; without one, that of a magic there (truncated or broken media), or what its text says. The declared type is corrected to it, and every valid object that doesn't begin at the start, or lies behind or inside another, is carved: type, start, length and SHA-256.
+An Aho-Corasick automaton over all magic bytes passes once over each payload. At every place that it finds, the format's validator walks the structure (chunks with their checksums, segments, blocks, boxes, compressed streams) to the object's end. A payload's type is that of the valid object at its start; without one, that of a magic there (truncated or broken media), or what the text before the first object says. The declared type is corrected to it, and every valid object that doesn't begin at the start, or lies behind or inside another, is carved: type, start, length and SHA-256.
 
 Defined cases: a null payload has null type, length and objects; an empty one is application/x-empty; rows with a null or repeated id are rows like others; a null declared type is corrected like a wrong one; a payload has no limit of length and no number of objects is too many; extra columns are never read; an empty table gives an empty one.
 """
@@ -24,7 +24,7 @@ class Payload:
     """Bytes, and what several validators look up in them."""
 
     def __init__(self, data: bytes):
-        self.data, self._found = data, {}
+        self.data, self._found, self._zips = data, {}, None
 
     def __len__(self) -> int:
         return len(self.data)
@@ -39,6 +39,19 @@ class Payload:
         k = bisect_left(places, at)
         return places[k] if k < len(places) else -1
 
+    def archives(self) -> dict[int, int]:
+        """The end of the ZIP archive that begins at each place, from the end records, each looked at once; a first archive counts."""
+        if self._zips is None:
+            self._zips, d = {}, self.data
+            for m in re.finditer(rb"PK\x05\x06", d):
+                at = m.start()
+                if at + 22 > len(d):
+                    break
+                size, offset, note = struct.unpack("<IIH", d[at + 12 : at + 22])
+                if at + 22 + note <= len(d) and at >= size + offset and (size == 0 or d[at - size : at - size + 4] == b"PK\x01\x02"):
+                    self._zips.setdefault(at - size - offset, at + 22 + note)
+        return self._zips
+
 
 # ---- validators: (payload, start) to the object's end, or None
 
@@ -117,15 +130,7 @@ def pdf(p: Payload, s: int) -> int | None:
 
 
 def zip_(p: Payload, s: int) -> int | None:
-    d, at = p.data, s - 1
-    while (at := p.after(rb"PK\x05\x06", at + 1)) >= 0 and at + 22 <= len(d):
-        size, offset, note = struct.unpack("<IIH", d[at + 12 : at + 22])
-        begin = at - size - offset
-        if begin == s and at + 22 + note <= len(d) and (size == 0 or d[at - size : at - size + 4] == b"PK\x01\x02"):
-            return at + 22 + note
-        if begin > s:  # the directory of a later archive
-            return None
-    return None
+    return p.archives().get(s)
 
 
 def gz(p: Payload, s: int) -> int | None:
@@ -262,7 +267,7 @@ def text_type(data: bytes) -> str:
 def sniff_one(data: bytes, declared: str | None) -> dict:
     found, magic = objects(data)
     first = next((x for x in found if x[1] == 0), None)
-    kind = first[0] if first else magic or text_type(data)
+    kind = first[0] if first else magic or text_type(data[: found[0][1]] if found else data)
     rest = [x for x in found if x is not first]
     return {
         "type": kind,
