@@ -94,22 +94,30 @@ def _groups(keys: np.ndarray) -> np.ndarray:
 _NEVER = -np.inf
 
 
-def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last coefficient is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    beta = np.zeros(x.shape[1])
+def _blocks(parts, rows: np.ndarray, size: int = 1024):
+    """The rows of the parts side by side, with a last column of ones; in blocks, so that the whole table isn't copied."""
+    for i in range(0, len(rows), size):
+        at = rows[i : i + size]
+        yield slice(i, i + size), np.hstack([*(p[at].astype(np.float64) for p in parts), np.ones((len(at), 1))])
+
+
+def _fit(parts, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton's method on rows of the parts; the last coefficient is the constant."""
+    y, weight = y[rows], weight[rows]
+    beta = np.zeros(sum(p.shape[1] for p in parts) + 1)
     if not len(y) or y.min() == y.max():
         beta[-1] = _NEVER
         return beta
     share = float((weight * y).sum()) / float(weight.sum())
     beta[-1] = np.log(share / (1 - share))
-    ridge = np.full(x.shape[1], PENALTY)
+    ridge = np.full(len(beta), PENALTY)
     ridge[-1] = 1e-3
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (weight * (p - y)) + ridge * beta
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        h[np.diag_indices_from(h)] += ridge
+        g, h = ridge * beta, np.diag(ridge)
+        for b, x in _blocks(parts, rows):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            g += x.T @ (weight[b] * (p - y[b]))
+            h += (x * (weight[b] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
         step = np.linalg.solve(h, g)
         beta -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-5:
@@ -117,10 +125,10 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _predict(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+def _predict(parts, rows: np.ndarray, beta: np.ndarray) -> np.ndarray:
     if beta[-1] == _NEVER:
-        return np.zeros(len(x))
-    return 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
+        return np.zeros(len(rows))
+    return np.concatenate([np.zeros(0), *(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) for _, x in _blocks(parts, rows))])
 
 
 def _choose(rows: np.ndarray, s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -152,7 +160,7 @@ class Chain:
         x[rows[hit], f[hit]] = 1
         out = np.zeros((n, len(self.names)))
         for j, beta in enumerate(self.betas):
-            out[:, j] = _predict(np.hstack([x, out[:, :j]]), beta)
+            out[:, j] = _predict((x, out[:, :j]), np.arange(n), beta)
         return out
 
 
@@ -179,14 +187,14 @@ def fit_chain(names, sign_lists: list[np.ndarray], y: np.ndarray, copies: np.nda
         return chosen, x
 
     chosen, x = table_of(np.ones(n, dtype=bool))
-    parts = [(k, table_of(fold != k)[1]) for k in range(FOLDS)] if len(names) > 1 else []
-    betas, earlier = [], np.zeros((n, 0))
+    betas, earlier, all_ = [], np.zeros((n, 0)), np.arange(n)
     for j in range(len(names)):
         held = np.zeros(n)
-        for k, xk in parts if j + 1 < len(names) else []:
-            own, xj = fold == k, np.hstack([xk, earlier])
-            held[own] = _predict(xj[own], _fit(xj[~own], y[~own, j], weight[~own]))
-        betas.append(_fit(np.hstack([x, earlier]), y[:, j], weight))
+        for k in range(FOLDS) if j + 1 < len(names) else []:
+            own = fold == k
+            parts = table_of(~own)[1], earlier
+            held[own] = _predict(parts, all_[own], _fit(parts, all_[~own], y[:, j], weight))
+        betas.append(_fit((x, earlier), all_, y[:, j], weight))
         earlier = np.hstack([earlier, held[:, None]])
     return Chain(names, chosen, betas)
 
