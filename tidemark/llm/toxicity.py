@@ -94,41 +94,74 @@ def _groups(keys: np.ndarray) -> np.ndarray:
 _NEVER = -np.inf
 
 
-def _blocks(parts, rows: np.ndarray, size: int = 1024):
-    """The rows of the parts side by side, with a last column of ones; in blocks, so that the whole table isn't copied."""
-    for i in range(0, len(rows), size):
-        at = rows[i : i + size]
-        yield slice(i, i + size), np.hstack([*(p[at].astype(np.float64) for p in parts), np.ones((len(at), 1))])
-
-
-def _fit(parts, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method on rows of the parts; the last coefficient is the constant."""
-    y, weight = y[rows], weight[rows]
-    beta = np.zeros(sum(p.shape[1] for p in parts) + 1)
-    if not len(y) or y.min() == y.max():
+class _Table:
+    """A table of 0 and 1 with n rows and m columns as its cells of 1 (row, column), then columns of numbers, then a column of ones."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, n: int, m: int, more: np.ndarray):
+        self.n, self.m, self.more = n, m, more
+        # cells in order of row, and in order of column; where each row's and column's begin
+        by_row, by_column = np.lexsort((column, row)), np.lexsort((row, column))
+        self.columns, self.rows = column[by_row], row[by_column]
+        self.row_cuts, self.column_cuts = (np.searchsorted(k[by], np.arange(size + 1)) for k, by, size in ((row, by_row, n), (column, by_column, m)))
+
+    @staticmethod
+    def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0.0], np.cumsum(values)])[cuts])
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return self._sums(v[self.columns], self.row_cuts) + self.more @ v[self.m : -1] + v[-1]
+
+    def transposed_times(self, u: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._sums(u[self.rows], self.column_cuts), self.more.T @ u, [u.sum()]])
+
+    def squares_times(self, u: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._sums(u[self.rows], self.column_cuts), (self.more**2).T @ u, [u.sum()]])
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _solve(apply, b: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Conjugate gradients with a diagonal preconditioner, to a hundredth of b: Newton's next step mends the rest."""
+    x, r = np.zeros_like(b), b.copy()
+    z = r / diagonal
+    p, rz, enough = z, r @ z, 1e-2 * np.linalg.norm(b)
+    for _ in range(500):
+        if np.linalg.norm(r) <= enough:
+            break
+        q = apply(p)
+        a = rz / (p @ q)
+        x, r = x + a * p, r - a * q
+        z = r / diagonal
+        rz, old = r @ z, rz
+        p = z + rz / old * p
+    return x
+
+
+def _fit(x: _Table, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton's method; rows without weight don't count. The last coefficient is the constant."""
+    beta, used = np.zeros(x.m + x.more.shape[1] + 1), weight > 0
+    if not used.any() or y[used].min() == y[used].max():
         beta[-1] = _NEVER
         return beta
     share = float((weight * y).sum()) / float(weight.sum())
     beta[-1] = np.log(share / (1 - share))
     ridge = np.full(len(beta), PENALTY)
     ridge[-1] = 1e-3
-    for _ in range(25):
-        g, h = ridge * beta, np.diag(ridge)
-        for b, x in _blocks(parts, rows):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            g += x.T @ (weight[b] * (p - y[b]))
-            h += (x * (weight[b] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        step = np.linalg.solve(h, g)
+    for _ in range(60):
+        p = _sigmoid(x.times(beta))
+        d = weight * np.maximum(p * (1 - p), 1e-6)
+        g = x.transposed_times(weight * (p - y)) + ridge * beta
+        step = _solve(lambda v: x.transposed_times(d * x.times(v)) + ridge * v, g, x.squares_times(d) + ridge)
         beta -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < 1e-4:
             break
     return beta
 
 
-def _predict(parts, rows: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    if beta[-1] == _NEVER:
-        return np.zeros(len(rows))
-    return np.concatenate([np.zeros(0), *(1 / (1 + np.exp(-np.clip(x @ beta, -30, 30))) for _, x in _blocks(parts, rows))])
+def _predict(x: _Table, beta: np.ndarray) -> np.ndarray:
+    return np.zeros(x.n) if beta[-1] == _NEVER else _sigmoid(x.times(beta))
 
 
 def _choose(rows: np.ndarray, s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -144,6 +177,16 @@ def _choose(rows: np.ndarray, s: np.ndarray, y: np.ndarray, weight: np.ndarray)
     return ok
 
 
+def _cells(rows: np.ndarray, s: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells (row, number of the chosen sign), each once."""
+    at = np.full(_SPACE, -1, dtype=np.int32)
+    at[chosen] = np.arange(len(chosen))
+    f = at[s]
+    hit = f >= 0
+    cell = np.unique(rows[hit] * max(1, len(chosen)) + f[hit])
+    return cell // max(1, len(chosen)), cell % max(1, len(chosen))
+
+
 class Chain:
     """names, signs (sorted sign numbers) and a coefficient vector for each category."""
 
@@ -152,15 +195,10 @@ class Chain:
 
     def score(self, rows: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
         """n x categories probabilities."""
-        at = np.full(_SPACE, -1, dtype=np.int32)
-        at[self.chosen] = np.arange(len(self.chosen))
-        f = at[s]
-        hit = f >= 0
-        x = np.zeros((n, len(self.chosen)), dtype=np.float32)
-        x[rows[hit], f[hit]] = 1
+        row, column = _cells(rows, s, self.chosen)
         out = np.zeros((n, len(self.names)))
         for j, beta in enumerate(self.betas):
-            out[:, j] = _predict((x, out[:, :j]), np.arange(n), beta)
+            out[:, j] = _predict(_Table(row, column, n, len(self.chosen), out[:, :j]), beta)
         return out
 
 
@@ -175,26 +213,23 @@ def fit_chain(names, sign_lists: list[np.ndarray], y: np.ndarray, copies: np.nda
     weight = 1 / np.bincount(group, minlength=n)[group]
     fold = np.unique(group, return_inverse=True)[1] * 2654435761 % 1_000_003 % FOLDS
 
-    def table_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The signs chosen on own rows, and all rows' table of them."""
+    def signs_of(own: np.ndarray) -> np.ndarray:
+        """The signs chosen on own rows."""
         part = own[rows]
-        chosen = np.unique(np.concatenate([_choose(rows[part], s[part], y[:, j], weight * own) for j in range(len(names))]))
-        at = np.full(_SPACE, -1, dtype=np.int32)
-        at[chosen] = np.arange(len(chosen))
-        f = at[s]
-        x = np.zeros((n, len(chosen)), dtype=np.float32)
-        x[rows[f >= 0], f[f >= 0]] = 1
-        return chosen, x
-
-    chosen, x = table_of(np.ones(n, dtype=bool))
-    betas, earlier, all_ = [], np.zeros((n, 0)), np.arange(n)
+        return np.unique(np.concatenate([_choose(rows[part], s[part], y[:, j], weight * own) for j in range(len(names))]))
+
+    def table_of(chosen: np.ndarray, earlier: np.ndarray) -> _Table:
+        return _Table(*_cells(rows, s, chosen), n, len(chosen), earlier)
+
+    chosen = signs_of(np.ones(n, dtype=bool))
+    betas, earlier = [], np.zeros((n, 0))
     for j in range(len(names)):
         held = np.zeros(n)
         for k in range(FOLDS) if j + 1 < len(names) else []:
             own = fold == k
-            parts = table_of(~own)[1], earlier
-            held[own] = _predict(parts, all_[own], _fit(parts, all_[~own], y[:, j], weight))
-        betas.append(_fit((x, earlier), all_, y[:, j], weight))
+            x = table_of(signs_of(~own), earlier)
+            held[own] = _predict(x, _fit(x, y[:, j], weight * ~own))[own]
+        betas.append(_fit(table_of(chosen, earlier), y[:, j], weight))
         earlier = np.hstack([earlier, held[:, None]])
     return Chain(names, chosen, betas)
 
