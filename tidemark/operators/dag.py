@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +46,8 @@ def forks(commits: DataFrame) -> DataFrame:
     return heads(commits).groupBy(*KEY).agg(F.count("*").alias("head_count"), F.array_sort(F.collect_list("id")).alias("heads")).where("head_count > 1")
 
 
-def reachable(parents: dict[int, list[int]], start: int) -> set[int]:
+def reachable(parents: dict, start) -> set:
+    """start and all its ancestors."""
     seen, stack = {start}, [start]
     while stack:
         for p in parents.get(stack.pop(), ()):
@@ -63,11 +63,13 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         graph = dict(zip(left.column("id").to_pylist(), left.column("parents").to_pylist()))
         rows = [(s, a) for s in dict.fromkeys(right.column("start").to_pylist()) if s in graph for a in reachable(graph, s)]
-        resource = (left.column("resource_id") if left.num_rows else right.column("r")).slice(0, 1)
-        return pa.table({"resource_id": pa.array(np.repeat(resource.to_numpy(), len(rows)), pa.int64()), "start": pa.array([r[0] for r in rows], pa.int64()), "ancestor": pa.array([r[1] for r in rows], pa.int64())})
+        resource, kind = left.column("resource_id"), left.schema.field("id").type
+        same = pa.array([resource[0].as_py()] * len(rows) if rows else [], resource.type)
+        return pa.table({"resource_id": same, "start": pa.array([r[0] for r in rows], kind), "ancestor": pa.array([r[1] for r in rows], kind)})
 
     graph = commits.select("resource_id", "id", "parents").groupBy("resource_id")
-    return graph.cogroup(starts.select(F.col("resource_id").alias("r"), "start").groupBy("r")).applyInArrow(run, "resource_id long, start long, ancestor long")
+    of = lambda c: commits.schema[c].dataType.simpleString()
+    return graph.cogroup(starts.select(F.col("resource_id").alias("r"), "start").groupBy("r")).applyInArrow(run, f"resource_id {of('resource_id')}, start {of('id')}, ancestor {of('id')}")
 
 
 def ancestors_by_doubling(commits: DataFrame, starts: DataFrame) -> DataFrame:

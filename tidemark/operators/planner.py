@@ -44,7 +44,7 @@ def side(df: DataFrame, name: str, *more: str) -> DataFrame:
 
 def plan_inventory(local: DataFrame, base: DataFrame, remote: DataFrame) -> DataFrame:
     """(scope_id, resource_id, operation, conflict_kind, local_id, base_id, remote_id, heads) for the union of the keys; conflict_kind is null but for operation Conflict."""
-    heads = F.col("heads") if "heads" in remote.columns else F.lit(None).cast("array<long>")
+    heads = F.col("heads") if "heads" in remote.columns else F.lit(None).cast("array<string>")
     met = side(local, "local").join(side(base, "base"), KEY, "full").join(side(remote.withColumn("heads", heads), "remote", "heads"), KEY, "full")
     met = met.fillna("Missing", ["local_state", "remote_state"]).withColumn("op", operation())
     return met.select(*KEY, F.substring_index("op", ":", 1).alias("operation"), F.when(F.col("op").startswith("Conflict"), F.substring_index("op", ":", -1)).alias("conflict_kind"), "local_id", "base_id", "remote_id", "heads")
@@ -52,8 +52,8 @@ def plan_inventory(local: DataFrame, base: DataFrame, remote: DataFrame) -> Data
 
 def merge_texts(plan: DataFrame, kinds: DataFrame) -> DataFrame:
     """Texts merge by themselves: a content conflict of a resource of kind Text becomes an upload. kinds: (scope_id, resource_id, kind)."""
-    met = plan.join(kinds.select(*KEY, "kind"), KEY, "left")
-    text = (F.col("conflict_kind") == "ContentVsContent") & (F.col("kind") == "Text")
+    met = plan.join(kinds.select(*KEY, F.col("kind").alias("_kind")), KEY, "left")
+    text = (F.col("conflict_kind") == "ContentVsContent") & (F.col("_kind") == "Text")
     out = met.withColumn("operation", F.when(text, "Upload").otherwise(F.col("operation"))).withColumn("conflict_kind", F.when(~F.coalesce(text, F.lit(False)), F.col("conflict_kind")))
     return out.select(plan.columns)
 
@@ -93,7 +93,7 @@ def scope_reports(requested: DataFrame, plan: DataFrame, failed: DataFrame) -> D
 
 def conflict_records(plan: DataFrame) -> DataFrame:
     """(conflict_id, scope_id, resource_id, kind): the id depends on what conflicts, not on when."""
-    text = F.concat_ws("|", "scope_id", F.col("resource_id").cast("string"), "conflict_kind", F.coalesce("local_id", F.lit("-")), F.coalesce("remote_id", F.lit("-")), F.array_join(F.transform(F.coalesce("heads", F.array().cast("array<long>")), lambda h: h.cast("string")), ","))
+    text = F.concat_ws("|", "scope_id", F.col("resource_id").cast("string"), "conflict_kind", F.coalesce("local_id", F.lit("-")), F.coalesce("remote_id", F.lit("-")), F.array_join(F.transform(F.coalesce(F.col("heads").cast("array<string>"), F.array().cast("array<string>")), lambda h: h), ","))
     return plan.where("operation = 'Conflict'").select(F.sha2(text, 256).alias("conflict_id"), *KEY, F.col("conflict_kind").alias("kind"))
 
 
@@ -108,7 +108,7 @@ def conflicts_in(conflicts: DataFrame, scope: str | None = None) -> DataFrame:
 
 def acknowledgements(plan: DataFrame, client: str, failed: DataFrame) -> DataFrame:
     """(client_id, scope_id, resource_id, observed_heads) for what was applied; not for conflicts and failures."""
-    return plan.where("operation != 'Conflict'").join(failed, KEY, "left_anti").select(F.lit(client).alias("client_id"), *KEY, F.coalesce("heads", F.array().cast("array<long>")).alias("observed_heads"))
+    return plan.where("operation != 'Conflict'").join(failed, KEY, "left_anti").select(F.lit(client).alias("client_id"), *KEY, F.coalesce("heads", F.array()).alias("observed_heads"))
 
 
 def apply_preconditions(mutations: DataFrame, local: DataFrame) -> DataFrame:
